@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality_rules import op5_weak_supervision_rules
 from .sharding import op9_hash_tree_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_weak_supervision_rules": op5_weak_supervision_rules,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
 }
 
