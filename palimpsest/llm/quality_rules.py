@@ -47,10 +47,11 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", good_high=0.2, bad_high=0.5),
     Rule("repeated_words", "n_repeat_words / greatest(n_words, 1)", good_high=0.2, bad_high=0.5),
 )
-#: Chances of a vote at the start of EM, and how many documents' worth of belief they keep throughout. A bad document breaks one
-#: or two of the rules and passes the others, so a good vote says little and a bad one much.
+#: Chances of a vote at the start of EM, and the share of each estimate that stays with them. A bad document breaks one or two of
+#: the rules and passes the others, so a good vote says little and a bad one much. Without the share, a kind of bad document
+#: that breaks one rule only is explained away as good: rules that are never broken together cannot vouch for each other.
 START = {GOOD: {GOOD: 0.9, NONE: 0.095, BAD: 0.005}, BAD: {GOOD: 0.75, NONE: 0.1, BAD: 0.15}}
-START_GOOD, STRENGTH = 0.7, 10.0
+START_GOOD, BELIEF = 0.7, 0.8
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -104,16 +105,17 @@ def fit(histogram: dict[tuple[int, ...], int], n_rules: int, rounds: int = 50) -
             w = {v: math.log(c[GOOD][v] / c[BAD][v]) for v in (GOOD, NONE, BAD)}
             weights.append({GOOD: max(0.0, w[GOOD]), NONE: 0.0, BAD: min(0.0, w[BAD])})
         model = VoteModel(math.log(good / (1 - good)), weights, chances)
-        counts = [{y: {v: STRENGTH * START[y][v] for v in (GOOD, NONE, BAD)} for y in (GOOD, BAD)} for _ in range(n_rules)]
-        n_good = STRENGTH * START_GOOD
+        counts = [{y: dict.fromkeys((GOOD, NONE, BAD), 0.0) for y in (GOOD, BAD)} for _ in range(n_rules)]
+        n_good = 0.0
         for votes, n in histogram.items():
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, model.log_odds(votes)))))
             n_good += n * p
             for c, v in zip(counts, votes, strict=True):
                 c[GOOD][v] += n * p
                 c[BAD][v] += n * (1 - p)
-        chances = [{y: {v: c[y][v] / sum(c[y].values()) for v in c[y]} for y in c} for c in counts]
-        good = n_good / (total + STRENGTH)
+        of = {GOOD: n_good, BAD: total - n_good}
+        chances = [{y: {v: BELIEF * START[y][v] + (1 - BELIEF) * (c[y][v] / of[y] if of[y] > 0 else START[y][v]) for v in c[y]} for y in c} for c in counts]
+        good = BELIEF * START_GOOD + (1 - BELIEF) * (n_good / total if total else START_GOOD)
     return model
 
 
