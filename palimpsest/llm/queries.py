@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op4_ffd_packing
 from .quality_rules import op5_weak_supervision_rules
 from .sharding import op9_hash_tree_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_ffd_packing": op4_ffd_packing,
     "op5_weak_supervision_rules": op5_weak_supervision_rules,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
 }
