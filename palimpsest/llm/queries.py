@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op4_ffd_packing
 from .quality_rules import op5_weak_supervision_rules
 from .sharding import op9_hash_tree_sharding
+from .warc import OP7_SQL, op7_indexed_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ffd_packing": op4_ffd_packing,
     "op5_weak_supervision_rules": op5_weak_supervision_rules,
+    "op7_indexed_archive": op7_indexed_archive,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_indexed_archive": OP7_SQL,
+}
