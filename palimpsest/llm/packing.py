@@ -8,6 +8,7 @@ documents are cut to fill the gaps left in the other bins.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ GROUP_BYTES = 6_000_000
 #: Gaps shorter than this stay: a document isn't cut for less.
 LEAST_CUT = 16
 #: Words that a Python worker remembers the ids of at most.
-REMEMBER = 600_000
+REMEMBER = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -114,49 +115,83 @@ def _dissolve(bins: dict[int, list[tuple[int, int, int]]], capacity: int, least_
     return out
 
 
+#: What the fast path below rests on: fixed values of the tokenizer's file.
+LOWER_WORDS = {"normalizers": ["NFC", "Replace", "Lowercase"], "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "word_end": "</w>"}
+#: ASCII marks that may follow a word's letters and then form a pre-token of their own.
+MARKS = b".,;:!?#*$%&|<>()[]{}=+-/\\\"_~^@"
+
+
 class WordCoder:
     """Ids of texts, word by word. The tokenizer's normaliser and splitter never join what ASCII white space separates, so a text's
-    ids are its words' ids one after another, and a word's ids can be remembered. New words go to the tokenizer many at a time."""
+    ids are its words' ids one after another, and a word's ids can be remembered.
+
+    Most words are letters, perhaps followed by marks: two pre-tokens at most, and the letters in lower case. Their letters go
+    through the same merges many at a time, without the normaliser and splitter, which take most of the tokenizer's time. Any
+    other word, and any file with other rules than LOWER_WORDS, goes through the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        normal, split = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+        known = [x["type"] for x in normal.get("normalizers", [])] == LOWER_WORDS["normalizers"] and split.get("pretokenizers", [{}])[0].get("pattern") == {"Regex": LOWER_WORDS["split"]}
+        self.merges = None
+        if known and spec["model"].get("end_of_word_suffix") == LOWER_WORDS["word_end"]:
+            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}))
+            vocabulary = spec["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(LOWER_WORDS["word_end"])]] = True
+            shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]  # bytes that stand for themselves
+            hidden = [b for b in range(256) if b not in set(shown)]
+            self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)} | {32: " "}
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        if self.merges is None:
+            return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [t.encode().split() for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        self._learn(new)
+        if len(self.letters) > REMEMBER:
+            self.letters = {b"": b""}
+        self._learn({w for words in split for w in words}.difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
+    def _learn(self, words: set[bytes]) -> None:
+        parts, odd = [], []
         for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            (plain if unicodedata.normalize("NFC", s).isalpha() else odd).append((w, s))
-        for at in range(0, len(plain), 512):  # a run of letters is one pre-token, ended by an id that ends a word
-            part = plain[at : at + 512]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(s for _, s in part)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                raw, start = ids.astype("<u4").tobytes(), 0
-                for (w, _), stop in zip(part, stops.tolist(), strict=True):
-                    self.known[w] = raw[4 * start : 4 * stop]
-                    start = stop
+            core = w.rstrip(MARKS)
+            s = core.decode().lower()
+            if (core.isalpha() or s.isalpha() and "\u03a3" not in core.decode() and unicodedata.is_normalized("NFC", core.decode())) or not core:
+                parts.append((w, s.encode(), w[len(core) :]))
             else:
-                odd += part
+                odd.append(w)
+        new = list({c for _, c, _ in parts}.difference(self.letters))
+        for at in range(0, len(new), 512):  # a run of letters is one pre-token, ended by an id that ends a word
+            part = new[at : at + 512]
+            text = b" ".join(part).decode("latin-1").translate(self.alphabet)
+            ids = np.asarray(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer's words do not end as expected")
+            raw, start = ids.astype("<u4").tobytes(), 0
+            for c, stop in zip(part, stops, strict=True):
+                self.letters[c] = raw[4 * start : 4 * stop]
+                start = stop
+        marks = {m for _, _, m in parts}.difference(self.known)
+        odd += marks - {b""}
         for at in range(0, len(odd), 512):
             part = odd[at : at + 512]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+        self.known[b""] = b""
+        for w, c, m in parts:
+            self.known[w] = self.letters[c] + self.known[m]
 
 
 _CODERS: dict[str, WordCoder] = {}
