@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op2_bottom_k_fingerprints
+from .lm import op10_log_bilinear
+from .mil import op8_attention_quality
 from .mixing import op6_temperature_mixing
 from .packing import op4_ffd_packing
 from .quality_rules import op5_weak_supervision_rules
@@ -23,7 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_weak_supervision_rules": op5_weak_supervision_rules,
     "op6_temperature_mixing": op6_temperature_mixing,
     "op7_indexed_archive": op7_indexed_archive,
+    "op8_attention_quality": op8_attention_quality,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
+    "op10_log_bilinear": op10_log_bilinear,
 }
 
 ORACLE_SQL: dict[str, str] = {
