@@ -53,7 +53,7 @@ def exponent(shares: DataFrame, mix: Mix) -> float:
     """The largest exponent in 0..1 that reaches the entropy, raised to the smallest that keeps the repetition limit. Entropy falls
     and repetition falls as the exponent rises, so both have one turning point."""
 
-    def bisect(holds_high) -> float:
+    def bisect(holds_high) -> tuple[float, float]:
         low, high = 0.0, 1.0
         for _ in range(PASSES):
             step = (high - low) / 2**DEPTH
@@ -61,11 +61,11 @@ def exponent(shares: DataFrame, mix: Mix) -> float:
             flags = [holds_high(p) for p in _points(shares, grid)]
             first = next((i for i, f in enumerate(flags) if f), len(flags))
             low, high = low + step * first, low + step * (first + 1)
-        return high
+        return low, high
 
     (_, _), (at_one, _) = _points(shares, [0.0, 1.0])
-    wanted = 1.0 if at_one >= mix.entropy else bisect(lambda p: p[0] < mix.entropy)
-    allowed = 0.0 if _points(shares, [0.0])[0][1] <= mix.max_repeats else bisect(lambda p: p[1] <= mix.max_repeats)
+    wanted = 1.0 if at_one >= mix.entropy else bisect(lambda p: p[0] < mix.entropy)[0]
+    allowed = 0.0 if _points(shares, [0.0])[0][1] <= mix.max_repeats else bisect(lambda p: p[1] <= mix.max_repeats)[1]
     return max(wanted, allowed)
 
 
