@@ -25,7 +25,7 @@ GROUP_BYTES = 6_000_000
 #: Gaps shorter than this stay: a document isn't cut for less.
 LEAST_CUT = 16
 #: Words that a Python worker remembers the ids of at most.
-REMEMBER = 700_000
+REMEMBER = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
