@@ -64,7 +64,12 @@ def exponent(shares: DataFrame, mix: Mix) -> float:
         return low, high
 
     (_, _), (at_one, _) = _points(shares, [0.0, 1.0])
-    wanted = 1.0 if at_one >= mix.entropy else bisect(lambda p: p[0] < mix.entropy)[0]
+    if at_one >= mix.entropy:
+        wanted = 1.0
+    elif mix.entropy >= 1:  # equal weights alone have it; near 0 entropy is too flat for doubles to tell
+        wanted = 0.0
+    else:
+        wanted = bisect(lambda p: p[0] < mix.entropy)[0]
     allowed = 0.0 if _points(shares, [0.0])[0][1] <= mix.max_repeats else bisect(lambda p: p[1] <= mix.max_repeats)[1]
     return max(wanted, allowed)
 
