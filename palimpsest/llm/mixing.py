@@ -83,7 +83,7 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     other. Null text and texts without words count as one token, so that they take part too. An empty table gives no rows.
 
     Each pass is a permutation of the source's documents by a hash of id and pass. The last pass stops where the budget is used
-    up: a document belongs to it if it begins within the budget. Running sums are taken in blocks of about ROWS_PER_BLOCK
+    up: a document belongs to it if it begins within the source's share of the budget, a whole number of tokens. Running sums are taken in blocks of about ROWS_PER_BLOCK
     rows by hash range, and block offsets over the small table of blocks, so no task holds a source.
     """
     tokens = F.greatest(F.lit(1), F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE_RE + "+")), F.lit(0))).cast("long")
@@ -97,7 +97,7 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     budget = mix.budget if mix.budget is not None else total * (z[0] or 1.0) * (z[1] or 1.0)
     weight = F.col("_u") / F.lit(z[0] or 1.0)
     repeats = F.round(weight * F.lit(budget) / F.col("_t"), 9)
-    weighed = raw.select(F.col("source").alias("_s"), "_t", weight.alias("weight"), repeats.alias("repeats"), F.ceil(F.col("_rows") / ROWS_PER_BLOCK).cast("long").alias("_blocks"))
+    weighed = raw.select(F.col("source").alias("_s"), "_t", weight.alias("weight"), repeats.alias("repeats"), F.round(weight * F.lit(budget)).alias("_quota"), F.ceil(F.col("_rows") / ROWS_PER_BLOCK).cast("long").alias("_blocks"))
     dealt = each.join(weighed, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").where("repeats > 0")
     dealt = dealt.withColumn("pass", F.explode(F.sequence(F.lit(1), F.ceil("repeats").cast("int"))))
     dealt = dealt.withColumn("_h", F.xxhash64(F.lit("mix"), "pass", "doc_id", "source")).withColumn("_b", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_blocks")))
@@ -107,7 +107,7 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     before = blocks.select(F.col("source").alias("_bs"), F.col("pass").alias("_bp"), F.col("_b").alias("_bb"), (F.sum("_n").over(Window.partitionBy("source", "pass").orderBy("_b")) - F.col("_n")).alias("_before"))
     placed = ordered.join(before, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("pass") == F.col("_bp")) & (F.col("_b") == F.col("_bb")))
     begins = (F.col("pass") - 1) * F.col("_t") + F.col("_before") + F.col("_in")
-    return placed.select("doc_id", "source", "n_tokens", "weight", "repeats", "pass", begins.alias("_begins"), (begins / F.col("weight")).alias("position"), (F.col("repeats") * F.col("_t")).alias("_quota")).where("_begins < _quota").drop("_begins", "_quota")
+    return placed.select("doc_id", "source", "n_tokens", "weight", "repeats", "pass", begins.alias("_begins"), (begins / F.col("weight")).alias("position"), "_quota").where("_begins < _quota").drop("_begins", "_quota")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
