@@ -174,7 +174,7 @@ def test_mixing(spark, docs, rows, none):
     assert abs(got.groupby("source").weight.first().sum() - 1) < 1e-9
     equal = mixing.plan(big, mixing.Mix(entropy=1.0, max_repeats=1e9, budget=640.0)).toPandas()
     assert equal.groupby("source").n_tokens.sum().to_dict() == {"big": 320, "small": 320}
-    assert got.position.between(0, 1360).all() and not got.duplicated(["doc_id", "pass"]).any()
+    assert got.n_tokens.sum() == 1440 and got.position.between(0, 1440, inclusive="left").all() and not got.duplicated(["doc_id", "pass"]).any()
     kept = mixing.mix_documents(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows}
     assert mixing.plan(none).count() == 0 and mixing.mix_documents(none).count() == 0
