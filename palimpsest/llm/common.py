@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 NOT_SPACE_RE = r"[^\x20\x09-\x0D]"
 SPACE_RE = r"[\x20\x09-\x0D]+"
+#: Setting by which Spark deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,6 +41,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df, compressed, to a fresh path in the shared folder and read it from there. Gives the frame and the path.
+
+    The shuffle files that the write needed go with its end, not when the driver happens to collect its garbage.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def words(text):
     """Array of the words of a string column; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import discard, stored, table
 
 LENGTH, GRAM = 100, 24
 #: Grams of a string, and bytes of text whose runs are found at once (places take 20 bits beside the hash).
@@ -176,10 +176,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(uid, a, n): stretches of starts of LENGTH-byte strings that also start earlier. docs: d, uid, text."""
-    found = cut(docs.select("d", "uid", "text").mapInArrow(_find_runs, RUNS))
+    spark = docs.sparkSession
+    found, found_at = stored(docs.select("d", "uid", "text").mapInArrow(_find_runs, RUNS), "runs")
     keys = found.groupBy("anchor").agg(F.count("*").alias("_c"), F.min("bytes_hash").alias("_lo"), F.max("bytes_hash").alias("_hi")).where("_c > 1")
-    again = cut(found.join(keys.select("anchor", (F.col("_lo") != F.col("_hi")).alias("varied")), "anchor"))
-    first = cut(again.groupBy("anchor", "bytes_hash").agg(F.min(F.struct("d", "uid", "a", "n")).alias("f"), F.max("varied").alias("varied"), F.count("*").alias("_c")))
+    again, again_at = stored(found.join(keys.select("anchor", (F.col("_lo") != F.col("_hi")).alias("varied")), "anchor"), "again")
+    discard(spark, found_at)
+    first, first_at = stored(again.groupBy("anchor", "bytes_hash").agg(F.min(F.struct("d", "uid", "a", "n")).alias("f"), F.max("varied").alias("varied"), F.count("*").alias("_c")), "first")
     copied = first.where("_c > 1").select("anchor", "bytes_hash", "f")
     copies = again.join(copied, ["anchor", "bytes_hash"]).where((F.col("uid") != F.col("f.uid")) | (F.col("a") != F.col("f.a"))).select("uid", "a", "n")
     varied = first.where("varied").select("anchor", "f.*")
@@ -188,7 +190,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     by_doc = varied.join(sizes, "anchor").groupBy("uid").agg(F.collect_list(F.struct("d", "a", "n", "anchor", (F.col("_runs") > HOT_RUNS).alias("hot"))).alias("runs"))
     dealt = docs.select("uid", "text").join(by_doc, "uid").select("uid", "text", "runs").mapInArrow(_pieces, "deal long, d long, uid long, a long, n int, bytes binary")
     dealt = dealt.repartition(max(1, -(-starts // TASK_STARTS)), "deal").sortWithinPartitions("d", "uid", "a").select("uid", "a", "n", "bytes")
-    return copies.union(dealt.mapInArrow(_scan, "uid long, a long, n int"))
+    out, _ = stored(copies.union(dealt.mapInArrow(_scan, "uid long, a long, n int")), "repeats")
+    discard(spark, again_at, first_at)
+    return out
 
 
 def spans(found: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -220,9 +224,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row (uid), written to the shared folder so that it stays."""
-    path = scratch(docs.sparkSession, "rows")
-    docs.withColumn("uid", F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return stored(docs.withColumn("uid", F.monotonically_increasing_id()), "rows")[0]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
