@@ -8,7 +8,8 @@ a run of about 40; a run stands for its starts, and only runs whose anchor occur
 2. First runs of an anchor with different surroundings are dealt to tasks by their anchor, with their bytes. A task
    feeds them in order of document and place, in batches, to a LevelIndex: each batch gets a suffix array, is merge-scanned
    against the levels for strings that were there before, and levels of equal size are merged.
-   Runs of an anchor that is too frequent for one task are dealt as single strings instead, by a hash of the string.
+   Runs of an anchor that is too frequent for one task are cut into blocks of starts by their distance to the anchor, each
+   dealt by a hash of the bytes that all its strings have.
 
 No task sees more than a share of the runs, and what is kept of a group of copies is one row a run and task.
 """
@@ -28,8 +29,8 @@ from .common import discard, stored, table
 LENGTH, GRAM = 100, 24
 #: Grams of a string, and bytes of text whose runs are found at once (places take 20 bits beside the hash).
 GRAMS, CHUNK = LENGTH - GRAM + 1, 1 << 19
-#: Starts a task is dealt on average, starts of a batch, and runs of an anchor beyond which its strings are dealt singly.
-TASK_STARTS, BATCH_STARTS, HOT_RUNS = 300_000, 20_000, 1_000
+#: Starts a task is dealt on average, starts of a batch, runs of an anchor beyond which they are dealt in blocks, and starts of a block.
+TASK_STARTS, BATCH_STARTS, HOT_RUNS, BLOCK = 300_000, 20_000, 1_000, 16
 NO_ID = 2**63 - 1
 RUNS = "d long, uid long, a long, n int, anchor long, bytes_hash long"
 
@@ -149,10 +150,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of a document's runs, dealt by anchor; single strings, dealt by their hash, of hot anchors."""
+def blocks(piece: bytes, n: int) -> list[tuple[int, int, int]]:
+    """Key, first start and number of starts of the blocks of a run of n starts. Equal strings have equal anchors at equal distances
+    from their starts, so they lie in blocks of one number, and the bytes that all strings of such a block have are equal too."""
     import xxhash
 
+    anchor = n - 1 + int(np.argmin(_gram_hashes(np.frombuffer(piece, np.uint8))[n - 1 : GRAMS] >> np.uint64(20)))
+    out = []
+    for j in range((anchor - n + 1) // BLOCK, anchor // BLOCK + 1):
+        last = anchor - j * BLOCK
+        low, high = max(0, last - BLOCK + 1), min(n - 1, last)
+        out.append((xxhash.xxh64_intdigest(piece[last : last + LENGTH - BLOCK + 1], j) >> 1, low, high - low + 1))
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of a document's runs, dealt by anchor; those of hot anchors in blocks."""
+
     def out(rows):
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["deal", "d", "uid", "a", "n", "bytes"])
@@ -164,7 +178,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in found:
                 d, a, n = r["d"], r["a"], r["n"]
                 if r["hot"]:
-                    rows += [(xxhash.xxh64_intdigest(data[s : s + LENGTH]) >> 1, d, uid, s, 1, data[s : s + LENGTH]) for s in range(a, a + n)]
+                    rows += [(key, d, uid, a + s, m, data[a + s : a + s + m + LENGTH - 1]) for key, s, m in blocks(data[a : a + n + LENGTH - 1], n)]
                 else:
                     rows.append((r["anchor"], d, uid, a, n, data[a : a + n + LENGTH - 1]))
                 if len(rows) >= 20_000:

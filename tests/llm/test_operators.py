@@ -62,7 +62,7 @@ def test_suffix_levels(spark, docs, rows, none):
     assert suffixes.remove_repeats(suffixes.numbered(none.select("doc_id", "text"))).count() == 0
 
 
-def test_hot_anchors_are_dealt_by_string(spark, docs, monkeypatch):
+def test_hot_anchors_are_dealt_in_blocks(spark, docs, monkeypatch):
     found = suffixes.numbered(docs.select("doc_id", "text"))
     plain = {(r.uid, r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(found).collect()}
     monkeypatch.setattr(suffixes, "HOT_RUNS", 0)
