@@ -95,18 +95,35 @@ class Model:
 
     def logs(self, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each class in a text, normalised over all classes."""
-        w1, w2 = self.context(ids)
-        out = np.empty(len(ids))
-        for at in range(0, len(ids), STEP):
-            part = slice(at, at + STEP)
-            q = self.r[w1[part]] * self.c[0] + self.r[w2[part]] * self.c[1]
-            s = q @ self.t.T + self.b
+        return Scorer(self).logs(ids)
+
+
+class Scorer:
+    """Log probabilities by a model that no longer changes.
+
+    A score is a sum of one part for each of the two words before, so matrix products give the parts for all words and classes
+    at once. The normaliser depends on those two words alone; it is found for each pair of them when first met. The tables'
+    size is the square of the number of classes, whatever the texts.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.first, self.second = (model.r * model.c[0]) @ model.t.T + model.b, (model.r * model.c[1]) @ model.t.T
+        self.normaliser = np.full((len(model.r), len(model.r)), np.nan)
+
+    def logs(self, ids: np.ndarray) -> np.ndarray:
+        """Natural log probability of each class in a text, normalised over all classes."""
+        w1, w2 = self.model.context(ids)
+        new = np.isnan(self.normaliser[w1, w2])
+        pairs = np.unique(w1[new].astype(np.int64) * len(self.normaliser) + w2[new])
+        for at in range(0, len(pairs), STEP):
+            a, b = np.divmod(pairs[at : at + STEP], len(self.normaliser))
+            s = self.first[a] + self.second[b]
             top = s.max(1)
             s -= top[:, None]
-            own = s[np.arange(len(s)), ids[part]].astype(np.float64)
             np.exp(s, out=s)
-            out[part] = own - np.log(s.sum(1, dtype=np.float64))
-        return out
+            self.normaliser[a, b] = top + np.log(s.sum(1, dtype=np.float64))
+        return self.first[w1, ids].astype(np.float64) + self.second[w2, ids] - self.normaliser[w1, w2]
 
 
 def _train(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -165,7 +182,7 @@ def train(training: DataFrame, vocabulary: DataFrame, total: int) -> Model:
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, base: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Per document: counts, log probability of its classes, base score of the class words, and its other words with counts."""
-    other = len(model.classes)
+    other, scorer = len(model.classes), Scorer(model)
     for batch in batches:
         rows = []
         for doc, uid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -174,7 +191,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, base: np.ndarray) ->
             rest = Counter(w for w, i in zip(words, ids.tolist(), strict=True) if i == other)
             n = np.bincount(ids, minlength=other + 1)
             known = int(n[:other].sum())
-            score = float(model.logs(ids).sum()) / log(10)
+            score = float(scorer.logs(ids).sum()) / log(10)
             rows.append((doc, uid, len(words), known, score, float((n[:other] * base).sum()), [{"word": w, "n": k} for w, k in rest.items()]))
         kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
