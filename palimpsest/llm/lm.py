@@ -5,8 +5,9 @@ all classes by batched matrix products. Classes are the CLASSES most frequent to
 has its add-half unigram share within it, so the probabilities of all tokens, an unseen one included, add up to 1.
 
 Counts are taken over all training documents and stay distributed; only words above a share of all tokens, at most CLASSES by
-rank, reach the driver and the workers. Each task trains on all its documents from the same start and the parameters are averaged
-by tokens, so nothing but sums of fixed size is gathered from it.
+rank, reach the driver and the workers. Training documents are dealt by a hash of their content into shards of about SHARD tokens,
+whatever partitions the input has. In each of ROUNDS rounds every shard trains on all its tokens from the same parameters, which
+are then averaged by tokens and are the next round's start, so nothing but sums of fixed size is gathered.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, stored, table
 
 #: Classes beside that of other tokens; size of vectors; noise samples per batch; tokens of a step; learning rate.
 CLASSES, DIM, NOISE, STEP, RATE = 767, 16, 32, 4096, 0.15
+#: Tokens of a shard; rounds of training over all shards.
+SHARD, ROUNDS = 1 << 20, 4
 #: The end of a text as a token; no word has a space.
 END = " "
 
@@ -83,7 +86,7 @@ class Model:
         up = 1 / (1 + np.exp((q * tt).sum(1) + self.b[target] - logn[target]))
         down = -1 / (1 + np.exp(-(q @ tn.T + self.b[noise] - logn[noise])))
         gq = up[:, None] * tt + down @ tn
-        one = lambda rows, values, n: np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], 1)
+        one = lambda rows, values, n: np.bincount((rows[:, None] * DIM + np.arange(DIM)).reshape(-1), values.reshape(-1), n * DIM).reshape(n, DIM)
         gt = one(np.r_[target, noise], np.r_[up[:, None] * q, down.T @ q], len(self.t))
         gb = np.bincount(np.r_[target, noise], np.r_[up, down.sum(0)], len(self.b))
         gr = one(np.r_[w1, w2], np.r_[gq * self.c[0], gq * self.c[1]], len(self.r))
@@ -126,35 +129,40 @@ class Scorer:
         return self.first[w1, ids].astype(np.float64) + self.second[w2, ids] - self.normaliser[w1, w2]
 
 
-def _train(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Train on all documents of a task; one row a parameter block with its sum over tokens."""
-    rng, state, trained = np.random.default_rng(11), [np.full(x.shape, 1e-4) for x in (model.r, model.t, model.b, model.c)], 0
-    held: list[list[np.ndarray]] = [[], [], []]
-    size = 0
+def _encode(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Classes of a text as bytes, beside its shard and its place there."""
+    for batch in batches:
+        ids = [model.ids(tokens(t)).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["shard", "place", "ids"])
+
 
-    def flush():
-        nonlocal trained
-        target, w1, w2 = (np.concatenate(x) for x in held)
-        order = rng.permutation(len(target))
-        for at in range(0, len(order), STEP):
-            part = order[at : at + STEP]
-            model.step(target[part], w1[part], w2[part], rng, state)
-        trained += len(target)
+def _gather(table: pa.Table) -> pa.Table:
+    """One row of a shard's texts in order, with the number of tokens of each."""
+    ids = sorted(zip(table.column("place").to_pylist(), table.column("ids").to_pylist(), strict=True))
+    sizes = np.array([len(x) // 4 for _, x in ids], np.int32)
+    return pa.table({"shard": table.column("shard")[:1], "ids": pa.array([b"".join(x for _, x in ids)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())})
 
+
+def _train(batches: Iterator[pa.RecordBatch], model: Model, start: list[np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
+    """Train on each shard of a task from the same start; one row a block of parameters and step sizes with its sum over tokens."""
+    before = [x.copy() for x in (model.r, model.t, model.b, model.c)]
+    total, trained = 0.0, 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            ids = model.ids(tokens(text))
-            for x, v in zip(held, (ids, *model.context(ids)), strict=True):
-                x.append(v)
-            size += len(ids)
-            if size > 400_000:
-                flush()
-                held, size = [[], [], []], 0
-    if size:
-        flush()
+        for shard, ids, sizes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for x, y in zip((model.r, model.t, model.b, model.c), before, strict=True):
+                x[...] = y
+            state, rng = [x.copy() for x in start], np.random.default_rng((11, turn, shard))
+            target, first = np.frombuffer(ids, np.int32), np.r_[0, np.cumsum(np.frombuffer(sizes, np.int32))[:-1]]
+            w1, w2 = np.roll(target, 1), np.roll(target, 2)
+            w1[first] = w2[first] = w2[(first + 1)[first + 1 < len(w2)]] = len(model.share)
+            order = rng.permutation(len(target))
+            for at in range(0, len(order), STEP):
+                part = order[at : at + STEP]
+                model.step(target[part], w1[part], w2[part], rng, state)
+            total = total + np.concatenate([x.reshape(-1) for x in (model.r, model.t, model.b, model.c, *state)]).astype(np.float64) * len(target)
+            trained += len(target)
     if trained:
-        flat = np.concatenate([x.reshape(-1) for x in (model.r, model.t, model.b, model.c)]).astype(np.float64) * trained
-        blocks = [flat[i : i + 512].tolist() for i in range(0, len(flat), 512)]
+        blocks = [total[i : i + 512].tolist() for i in range(0, len(total), 512)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.list_(pa.float64())), pa.array([trained] * len(blocks), pa.int64())], names=["block", "sums", "n"])
 
 
@@ -167,16 +175,25 @@ def train(training: DataFrame, vocabulary: DataFrame, total: int) -> Model:
     # words above a share of all tokens are at most as many as its inverse; of those the driver takes CLASSES by rank
     frequent = vocabulary.where(F.col("c") * 50 * CLASSES >= total).orderBy(F.desc("c"), "word").limit(CLASSES).collect()
     model = Model([r.word for r in frequent], [r.c for r in frequent], total)
-    sums = training.select("text").mapInArrow(lambda b, m=model: _train(b, m), "block int, sums array<double>, n long")
-    summed = sums.select("block", "n", F.posexplode("sums").alias("i", "x")).groupBy("block", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # the size of the model
-    if summed:
-        flat = np.zeros(sum(x.size for x in (model.r, model.t, model.b, model.c)))
+    if not total:
+        return model
+    content = F.xxhash64("text")
+    dealt = training.select(F.pmod(content, F.lit(max(1, round(total / SHARD)))).cast("int").alias("shard"), F.xxhash64(F.lit("place"), "text").alias("place"), "text")
+    encoded = dealt.mapInArrow(lambda b, m=model: _encode(b, m), "shard int, place long, ids binary")
+    shards, path = stored(encoded.groupBy("shard").applyInArrow(_gather, "shard int, ids binary, sizes binary"), "shards")
+    state = [np.full(x.shape, 1e-4) for x in (model.r, model.t, model.b, model.c)]
+    for turn in range(ROUNDS):
+        sums = shards.mapInArrow(lambda b, m=model, s=state, k=turn: _train(b, m, s, k), "block int, sums array<double>, n long")
+        summed = sums.select("block", "n", F.posexplode("sums").alias("i", "x")).groupBy("block", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # twice the size of the model
+        parts = (model.r, model.t, model.b, model.c, *state)
+        flat = np.zeros(sum(x.size for x in parts))
         for r in summed:
             flat[512 * r.block + r.i] = r.x / r.n
         at = 0
-        for x in (model.r, model.t, model.b, model.c):
+        for x in parts:
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
+    discard(training.sparkSession, path)
     return model
 
 

@@ -244,3 +244,22 @@ def test_pipeline(spark, docs, none):
             assert kept.columns == given.columns, name
             kept = spark.createDataFrame(kept.collect(), SCHEMA)
         corpus_pipeline.STAGES[-1][1](spark, kept, "").count()
+
+
+def test_language_model_learns_the_same_from_any_partitions(spark, monkeypatch):
+    r = random.Random(5)
+    follow = {f"w{i}": [f"w{r.randrange(60)}" for _ in range(2)] for i in range(60)}
+
+    def text():
+        out = [f"w{r.randrange(60)}"]
+        while len(out) < 150:
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    monkeypatch.setattr(lm, "STEP", 256)
+    monkeypatch.setattr(lm, "SHARD", 16384, raising=False)
+    given = spark.createDataFrame([(i, text()) for i in range(320)], "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in lm.score_documents(given.repartition(n)).collect()} for n in (1, 64))
+    assert max(abs(one[i].score - many[i].score) for i in one) < 1e-3
+    gain = lambda got: 1 - sum(x.score for x in got.values() if x.held_out) / sum(x.base_score for x in got.values() if x.held_out)
+    assert gain(many) > 0.1
