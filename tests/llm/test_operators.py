@@ -212,28 +212,70 @@ def test_classifier(spark, docs, rows, none):
     assert mil.score_documents(none, labels).count() == 0
 
 
+def lm_tokens(text):
+    return [w.decode() for w in (text or "").encode().lower().split()] + [" "]
+
+
+SMALL = lm.Size(words=40, endings=16, members=8)
+
+
 def test_language_model(docs, rows, none):
-    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    got = {r.doc_id: r for r in lm.score_documents(docs, SMALL).collect()}
     counts = {}
     for r in rows:
         if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
-            for w in lm.tokens(r[1]):
+            for w in lm_tokens(r[1]):
                 counts[w] = counts.get(w, 0) + 1
     total, distinct = sum(counts.values()), len(counts)
     for r in rows:
-        words = lm.tokens(r[1])
+        words = lm_tokens(r[1])
         want = sum(np.log10((counts.get(w, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
         assert abs(got[r[0]].base_score - want) < 1e-6 * max(1, abs(want))
         assert (got[r[0]].n_tokens, got[r[0]].n_known, got[r[0]].train_tokens) == (len(words), sum(w in counts for w in words), total)
-        assert got[r[0]].score < 0
-    assert lm.score_documents(none).count() == 0
+    assert lm.score_documents(none, SMALL).count() == 0
 
 
-def test_model_is_normalised():
-    m = lm.Model(["a", "b", " "], [5, 3, 2], 12)
-    m.t += np.random.default_rng(0).normal(size=m.t.shape).astype(np.float32)
-    total = sum(np.exp(m.logs(np.array([1, 0, k], np.int32))[2]) for k in range(4))
-    assert abs(total - 1) < 1e-5
+def test_language_model_scores_by_its_formula(spark, docs, rows):
+    """Every score again from the model's parameters, a word and a leaf at a time."""
+    coded, words, _ = lm.coded_corpus(docs.select("doc_id", "text"), SMALL)
+    model = lm.train(coded, words)
+    got = {r.doc_id: r.score for r in coded.mapInArrow(lambda b: lm._score(b, model, 0), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").collect()}
+    counts = {}
+    for r in rows:
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            for w in lm_tokens(r[1]):
+                counts[w] = counts.get(w, 0) + 1
+    top = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], xxhash.xxh64_intdigest(w) - (1 << 64 if xxhash.xxh64_intdigest(w) >> 63 else 0)))[:40])}
+    ending = lambda w: xxhash.xxh32_intdigest(w.encode()[-4:], 5) % 16
+    rest = {e: [counts[w] for w in counts if w not in top and ending(w) == e] for e in range(16)}
+    soft = lambda z: z - np.log(np.exp(z).sum())
+    for r in rows[:6] + rows[9:12]:
+        before, want = [len(model.t), len(model.t)], 0.0
+        for w in lm_tokens(r[1]):
+            leaf = top.get(w, 40 + ending(w))
+            q = np.r_[model.r[before[0]] * model.c[0] + model.r[before[1]] * model.c[1], 1].astype(np.float64)
+            k = leaf // 8
+            want += soft(model.g.astype(np.float64) @ q)[k] + soft(model.t[8 * k : 8 * k + 8].astype(np.float64) @ q)[leaf - 8 * k]
+            want += 0 if w in top else np.log((counts.get(w, 0) + 0.5) / (sum(rest[ending(w)]) + 0.5 * (len(rest[ending(w)]) + 1)))
+            before = [leaf, before[0]]
+        assert abs(got[r[0]] - want / np.log(10)) < 1e-4 * max(1, abs(want))
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    names = [f"w{i}".encode() for i in range(60)]
+    size, counts = lm.Size(words=20, endings=6, members=8), np.arange(60, 0, -1)
+    hashes, endings = lm._hashes(names), lm._endings(names, size)
+    rest = np.array([[counts[20:][endings[20:] == e].sum(), (endings[20:] == e).sum()] for e in range(6)], float)
+    words = lm.Words(hashes[:20], counts[:20], rest, counts.sum(), 60, size)
+    model = lm.Model(words)
+    model.t += np.random.default_rng(0).normal(size=model.t.shape).astype(np.float32)
+    leaves = words.leaf(hashes, endings)
+    assert leaves.tolist() == [*range(20), *(20 + endings[20:])]
+    for before in (3, 24):
+        chance = lambda leaf: np.exp(model.logs(np.array([7, before, leaf]), np.array([3])))[2]  # noqa: B023, E731
+        total = sum(chance(x) * words.share(np.array([x]), np.array([c]))[0] for x, c in zip(leaves, counts, strict=True))
+        total += sum(chance(20 + e) * words.share(np.array([20 + e]), np.array([0]))[0] for e in range(6))
+        assert abs(total - 1) < 1e-5
 
 
 def test_pipeline(spark, docs, none):
@@ -256,10 +298,9 @@ def test_language_model_learns_the_same_from_any_partitions(spark, monkeypatch):
             out.append(r.choice(follow[out[-1]]))
         return " ".join(out)
 
-    monkeypatch.setattr(lm, "STEP", 256)
-    monkeypatch.setattr(lm, "SHARD", 16384, raising=False)
-    given = spark.createDataFrame([(i, text()) for i in range(320)], "doc_id long, text string")
-    one, many = ({r.doc_id: r for r in lm.score_documents(given.repartition(n)).collect()} for n in (1, 64))
+    monkeypatch.setattr(lm, "SHARD_BYTES", 60_000)
+    given = spark.createDataFrame([(i, text()) for i in range(800)], "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in lm.score_documents(given.repartition(n), lm.Size(words=80, endings=8, members=16)).collect()} for n in (1, 64))
     assert max(abs(one[i].score - many[i].score) for i in one) < 1e-3
     gain = lambda got: 1 - sum(x.score for x in got.values() if x.held_out) / sum(x.base_score for x in got.values() if x.held_out)
-    assert gain(many) > 0.1
+    assert gain(many) > 0.02
