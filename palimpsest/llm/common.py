@@ -71,6 +71,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that docs doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words(text):
     """Array of the words of a string column; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")

@@ -153,7 +153,7 @@ def summed(rows: DataFrame, kind: str, combine: bool = True) -> dict[int, np.nda
     """The arrays of rows (block, sums: bytes of numbers of the kind) added up by block. Their size does not depend on the data."""
     if combine:
         rows, kind = rows.mapInArrow(lambda b, k=kind: _sum(b, k), SUMS), "f8"
-    done = rows.repartition(8, "block").mapInArrow(lambda b, k=kind: _sum(b, k), SUMS)
+    done = rows.repartition(32, "block").mapInArrow(lambda b, k=kind: _sum(b, k), SUMS)
     with cleaned_up(rows.sparkSession):
         return {r.block: np.frombuffer(r.sums, np.float64) for r in done.collect()}
 

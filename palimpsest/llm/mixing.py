@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE_RE, cut, table
+from .common import NOT_SPACE_RE, cut, fresh, table
 
 #: Halvings a pass, and passes: the exponent is exact to 2^-24.
 DEPTH, PASSES = 6, 4
@@ -111,10 +111,12 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of docs, each as often as plan() deals its document out, with all their columns."""
-    times = plan(docs, mix).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("_times")).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_times")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    return joined.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[joined[c] for c in docs.columns])
+    """The rows of docs, each as often as plan() deals its document out, with all their columns, whatever those are called. Nulls,
+    empty texts, repeated rows and the empty table are treated as plan() says."""
+    doc, source, times = (fresh(docs, x) for x in ("doc", "from", "times"))
+    dealt = plan(docs, mix).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("n")).select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("n").alias(times))
+    joined = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)))
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

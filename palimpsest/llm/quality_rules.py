@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE_RE, cut, table, words
+from .common import NOT_SPACE_RE, cut, fresh, table, words
 
 GOOD, NONE, BAD = 1, 0, -1
 
@@ -36,22 +36,23 @@ class Rule:
         return F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
 
 
-#: Measures are expressions over the base columns; shares are of words, or of characters in words.
+#: Measures are expressions over the base columns; shares are of words, or of characters in words. Bad bounds are tight and several
+#: rules look at one kind of fault from two sides, so that a fault is told from an oddity by what else is wrong.
 RULES = (
-    Rule("length", "n_words", good_low=100, bad_low=20),
-    Rule("word_length", "word_chars / greatest(n_words, 1)", good_low=3, good_high=10, bad_low=2, bad_high=15),
+    Rule("length", "n_words", good_low=100, bad_low=60),
+    Rule("word_length", "word_chars / greatest(n_words, 1)", good_low=3.5, good_high=6.2, bad_low=3, bad_high=6.8),
     Rule("symbols", "n_symbols / greatest(n_words, 1)", good_high=0.03, bad_high=0.1),
-    Rule("capitals", "n_capitals / greatest(word_chars, 1)", good_high=0.15, bad_high=0.3),
-    Rule("shouting", "n_shouts / greatest(n_words, 1)", good_high=0.1, bad_high=0.3),
-    Rule("digits", "n_digits / greatest(word_chars, 1)", good_high=0.1, bad_high=0.3),
-    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", good_high=0.2, bad_high=0.5),
-    Rule("repeated_words", "n_repeat_words / greatest(n_words, 1)", good_high=0.2, bad_high=0.5),
+    Rule("symbol_share", "n_symbols / greatest(word_chars, 1)", good_high=0.005, bad_high=0.02),
+    Rule("capitals", "n_capitals / greatest(word_chars, 1)", good_high=0.08, bad_high=0.2),
+    Rule("shouting", "n_shouts / greatest(n_words, 1)", good_high=0.05, bad_high=0.2),
+    Rule("digits", "n_digits / greatest(word_chars, 1)", good_high=0.02, bad_high=0.06),
+    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", good_high=0.2, bad_high=0.34),
+    Rule("repeated_words", "n_repeat_words / greatest(n_words, 1)", good_high=0.05, bad_high=0.15),
 )
-#: Chances of a vote at the start of EM, and the share of each estimate that stays with them. A bad document breaks one or two of
-#: the rules and passes the others, so a good vote says little and a bad one much. Without the share, a kind of bad document
-#: that breaks one rule only is explained away as good: rules that are never broken together cannot vouch for each other.
+#: Where EM starts: chances of a vote, and share of good documents. They also count as PSEUDO documents of each class, so that a
+#: small table's estimates stay near them and a large one's do not.
 START = {GOOD: {GOOD: 0.9, NONE: 0.095, BAD: 0.005}, BAD: {GOOD: 0.75, NONE: 0.1, BAD: 0.15}}
-START_GOOD, BELIEF = 0.7, 0.8
+START_GOOD, PSEUDO = 0.7, 100
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -90,23 +91,20 @@ class VoteModel:
     weights: list[dict[int, float]]
     accuracies: list[dict[int, dict[int, float]]]
 
+    @staticmethod
+    def of(good: float, chances: list[dict[int, dict[int, float]]]) -> VoteModel:
+        return VoteModel(math.log(good / (1 - good)), [{v: math.log(c[GOOD][v] / c[BAD][v]) for v in (GOOD, NONE, BAD)} for c in chances], chances)
+
     def log_odds(self, votes):
         return self.log_prior + sum(w[v] for w, v in zip(self.weights, votes, strict=True))
 
 
-def fit(histogram: dict[tuple[int, ...], int], n_rules: int, rounds: int = 50) -> VoteModel:
-    """EM over a histogram of vote patterns. A bad vote never speaks for a document, nor a good one against it."""
-    chances = [{y: dict(START[y]) for y in (GOOD, BAD)} for _ in range(n_rules)]
-    good, total = START_GOOD, sum(histogram.values())
-    model = None
+def fit(histogram: dict[tuple[int, ...], int], n_rules: int, rounds: int = 500, pseudo: float = PSEUDO) -> VoteModel:
+    """EM over a histogram of vote patterns, until no chance moves by 1e-9. Chances are bounded away from 0 by the pseudo-counts."""
+    chances, good, total = [{y: dict(START[y]) for y in (GOOD, BAD)} for _ in range(n_rules)], START_GOOD, sum(histogram.values())
     for _ in range(rounds):
-        weights = []
-        for c in chances:
-            w = {v: math.log(c[GOOD][v] / c[BAD][v]) for v in (GOOD, NONE, BAD)}
-            weights.append({GOOD: max(0.0, w[GOOD]), NONE: 0.0, BAD: min(0.0, w[BAD])})
-        model = VoteModel(math.log(good / (1 - good)), weights, chances)
-        counts = [{y: dict.fromkeys((GOOD, NONE, BAD), 0.0) for y in (GOOD, BAD)} for _ in range(n_rules)]
-        n_good = 0.0
+        model = VoteModel.of(good, chances)
+        counts, n_good = [{y: dict.fromkeys((GOOD, NONE, BAD), 0.0) for y in (GOOD, BAD)} for _ in range(n_rules)], 0.0
         for votes, n in histogram.items():
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, model.log_odds(votes)))))
             n_good += n * p
@@ -114,9 +112,11 @@ def fit(histogram: dict[tuple[int, ...], int], n_rules: int, rounds: int = 50) -
                 c[GOOD][v] += n * p
                 c[BAD][v] += n * (1 - p)
         of = {GOOD: n_good, BAD: total - n_good}
-        chances = [{y: {v: BELIEF * START[y][v] + (1 - BELIEF) * (c[y][v] / of[y] if of[y] > 0 else START[y][v]) for v in c[y]} for y in c} for c in counts]
-        good = BELIEF * START_GOOD + (1 - BELIEF) * (n_good / total if total else START_GOOD)
-    return model
+        before, chances = chances, [{y: {v: (c[y][v] + pseudo * START[y][v]) / (of[y] + pseudo) for v in c[y]} for y in c} for c in counts]
+        good = (n_good + pseudo * START_GOOD) / (total + pseudo)
+        if all(abs(b[y][v] - c[y][v]) < 1e-9 for b, c in zip(before, chances, strict=True) for y in c for v in c[y]):
+            break
+    return VoteModel.of(good, chances)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
@@ -133,16 +133,18 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5)
     model = fit(histogram, len(rules))
     odds = F.lit(model.log_prior)
     for name, w in zip(names, model.weights, strict=True):
-        odds = odds + F.when(F.col(name) == GOOD, w[GOOD]).when(F.col(name) == BAD, w[BAD]).otherwise(0.0)
+        odds = odds + F.when(F.col(name) == GOOD, w[GOOD]).when(F.col(name) == BAD, w[BAD]).otherwise(w[NONE])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     posterior = 1 / (1 + F.exp(-odds))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (posterior >= least)).alias("kept"), posterior.alias("posterior"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Rows of one doc_id are judged together: all must be kept; a null doc_id is one doc_id."""
-    verdict = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept")).where("_kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of docs that judge() keeps, with all their columns, whatever those are called. Rows of one doc_id are judged
+    together: all must be kept; a null doc_id is one doc_id. Null and empty texts go; an empty table stays empty."""
+    doc = fresh(docs, "doc")
+    verdict = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept").select(F.col("doc_id").alias(doc))
+    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
 
 
 def op5_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

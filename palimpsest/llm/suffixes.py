@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table
+from .common import discard, fresh, stored, table
 
 LENGTH, GRAM = 100, 24
 #: Grams of a string, and bytes of text whose runs are found at once (places take 20 bits beside the hash).
@@ -253,19 +253,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs with repeats removed from their texts, all other columns as they were. A document is dropped only if
-    nothing of a text that had bytes is left. Bytes of characters that a cut has split are left out."""
-    rows = numbered(docs)
-    done = remove_repeats(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "uid", "text")).where("n_removed > 0").select("uid", "kept")
-    fixed = done.mapInArrow(_decode, "_u long, _text string")
-    joined = rows.join(fixed, F.col("uid") == F.col("_u"), "left").where("_u is null or _text <> ''")
-    return joined.select(*[F.coalesce("_text", "text").alias("text") if c == "text" else joined[c] for c in docs.columns])
+    """The rows of docs with repeats removed from their texts, all other columns as they were, whatever those are called. A row is
+    dropped only if nothing of a text that had bytes is left. Bytes of characters that a cut has split are left out. Null and empty
+    texts stay; of equal rows the first read keeps its text; a null doc_id comes last; an empty table stays empty."""
+    uid, of, text = (fresh(docs, x) for x in ("uid", "of", "rest"))
+    rows, _ = stored(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
+    done = remove_repeats(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(uid).alias("uid"), "text")).where("n_removed > 0").select("uid", "kept")
+    fixed = done.mapInArrow(_decode, "uid long, text string").toDF(of, text)
+    joined = rows.join(fixed, F.col(uid) == F.col(of), "left").where(F.col(of).isNull() | (F.col(text) != ""))
+    return joined.select(*[F.coalesce(F.col(text), F.col(c)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x.decode(errors="ignore") for x in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(texts, pa.string())], names=["_u", "_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(texts, pa.string())], names=["uid", "text"])
 
 
 def op1_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from palimpsest.llm import fingerprints, lm, mil, mixing, packing, quality_rules, sharding, simhash, suffixes
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, uid string, _w string, n int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, uid string, _w string, n int, _id string, _u int, _text string, _d int, _s string, _times int, doc int, of int, rest string, times int, held string"
 
 
 def sentences(seed, n):
@@ -30,8 +30,8 @@ def texts():
 
 @pytest.fixture(scope="module")
 def rows():
-    out = [(i, t, "en", "hot" if i % 3 else f"s{i}", len(t or ""), "x", "x", "x", 1) for i, t in enumerate(texts(), 1)]
-    return out + [out[0], (None, sentences(7, 90), None, None, None, None, None, None, None)]
+    out = [(i, t, "en", "hot" if i % 3 else f"s{i}", len(t or ""), "x", f"u{i}", "x", 1, "x", i, "x", i, "x", i, i, i, "x", i, "x") for i, t in enumerate(texts(), 1)]
+    return out + [out[0], (None, sentences(7, 90), *[None] * 18)]
 
 
 @pytest.fixture(scope="module")
@@ -166,6 +166,51 @@ def test_rules(docs, rows, none):
     assert quality_rules.judge(none).count() == 0
 
 
+def test_em_recovers_planted_accuracies():
+    r, chances = random.Random(3), {1: [(0.02, 0.08), (0.1, 0.1), (0.05, 0.25), (0.01, 0.3), (0.2, 0.2)], -1: [(0.7, 0.1), (0.5, 0.2), (0.6, 0.3), (0.35, 0.3), (0.55, 0.2)]}
+    histogram = {}
+    for _ in range(60_000):
+        y = 1 if r.random() < 0.8 else -1
+        votes = tuple(-1 if (x := r.random()) < bad else 0 if x < bad + none else 1 for bad, none in chances[y])
+        histogram[votes] = histogram.get(votes, 0) + 1
+    model = quality_rules.fit(histogram, 5)
+    assert abs(1 / (1 + np.exp(-model.log_prior)) - 0.8) < 0.02
+    for i, found in enumerate(model.accuracies):
+        for y in (1, -1):
+            assert abs(found[y][-1] - chances[y][i][0]) < 0.03 and abs(found[y][0] - chances[y][i][1]) < 0.03
+
+
+def test_em_is_that_of_every_document():
+    """The same estimates from a loop over documents, without histogram or logs."""
+    r = random.Random(4)
+    given = [tuple(r.choice((-1, 0, 1, 1)) if i % 4 else r.choice((-1, -1, 0)) for _ in range(3)) for i in range(200)]
+    start, n0 = quality_rules.START, quality_rules.PSEUDO
+    chance, good = [start] * 3, quality_rules.START_GOOD
+    for _ in range(40):
+        belief = []
+        for votes in given:
+            g, b = good, 1 - good
+            for c, v in zip(chance, votes, strict=True):
+                g, b = g * c[1][v], b * c[-1][v]
+            belief.append(g / (g + b))
+        weight = {1: belief, -1: [1 - p for p in belief]}
+        chance = [{y: {v: (sum(p for p, x in zip(weight[y], given, strict=True) if x[i] == v) + n0 * start[y][v]) / (sum(weight[y]) + n0) for v in (-1, 0, 1)} for y in (1, -1)} for i in range(3)]
+        good = (sum(belief) + n0 * quality_rules.START_GOOD) / (len(given) + n0)
+    histogram = {v: given.count(v) for v in set(given)}
+    model = quality_rules.fit(histogram, 3, rounds=40)
+    assert all(abs(model.accuracies[i][y][v] - chance[i][y][v]) < 1e-9 for i in range(3) for y in (1, -1) for v in (-1, 0, 1))
+
+
+def test_a_single_odd_measure_is_overruled(spark):
+    """On many documents EM keeps one that breaks a weak rule alone, which passing all rules would not."""
+    plain = [(i, sentences(1000 + i, 120)) for i in range(600)]
+    junk = [(1000 + i, " ".join(w + " $$$ ###" for w in sentences(2000 + i, 60).split())) for i in range(60)]
+    short = [(2000 + i, sentences(3000 + i, 55)) for i in range(30)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(plain + junk + short, "doc_id long, text string")).collect()}
+    assert all(got[i].kept for i, _ in plain + short) and not any(got[i].kept for i, _ in junk)
+    assert all(got[i].n_words < quality_rules.RULES[0].bad_low for i, _ in short)
+
+
 def test_mixing(spark, docs, rows, none):
     big = spark.createDataFrame([(i, "a b c d", "big") for i in range(300)] + [(1000 + i, "a b c d", "small") for i in range(20)], "doc_id long, text string, source string")
     got = mixing.plan(big, mixing.Mix(entropy=1.0, max_repeats=3.0)).toPandas()
@@ -278,14 +323,50 @@ def test_probabilities_of_all_words_add_up_to_one():
         assert abs(total - 1) < 1e-5
 
 
-def test_pipeline(spark, docs, none):
-    for given in (docs, none):
-        kept = given
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            kept = stage(spark, kept, "")
-            assert kept.columns == given.columns, name
-            kept = spark.createDataFrame(kept.collect(), SCHEMA)
-        corpus_pipeline.STAGES[-1][1](spark, kept, "").count()
+def test_pipeline(spark, docs, rows, none):
+    """Each stage's rows against what it must keep, all columns as they were."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, "").columns == none.columns and stage(spark, none, "").count() == 0, name
+    of = lambda d: sorted(map(str, d.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, "")
+    good = {}
+    for r in quality_rules.judge(docs).collect():
+        good[r.doc_id] = good.get(r.doc_id, True) and r.kept
+    assert of(kept) == sorted(str(r) for r in docs.collect() if good[r.doc_id])
+    first = stages["simhash_near_dedup"](spark, docs, "")
+    shingle = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))} if (t or "").split() else {()}
+    sets, group = [shingle(r[1]) for r in rows], list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    want = {g: min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in first.collect()) == sorted(want.values())
+    assert set(of(first)) <= set(of(docs))
+    cut = stages["suffix_array_dedup"](spark, first, "")
+    texts_of = {r.doc_id: r.text for r in cut.collect()}
+    seen = set()
+    for r in sorted(first.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)):
+        data = (r.text or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(data[s : s + 100])
+        left = bytes(b for b, g in zip(data, gone, strict=True) if not g).decode(errors="ignore")
+        assert (r.doc_id in texts_of) == bool(left or not data) and texts_of.get(r.doc_id) in (left or r.text, None)
+    mixed = stages["source_mixing"](spark, cut, "")
+    assert set(of(mixed)) == set(of(cut))
+    pieces = stages["packing"](spark, mixed, "").collect()
+    docs_out = {}
+    for p in pieces:
+        docs_out[p.doc_id] = docs_out.get(p.doc_id, 0) + p.length
+    code = packing.coder(packing.default_vocabulary()).tokenizer
+    want = {}
+    for r in mixed.collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(code.encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert docs_out == want
 
 
 def test_language_model_learns_the_same_from_any_partitions(spark, monkeypatch):
