@@ -22,10 +22,12 @@ ROWS_PER_BLOCK = 2000
 
 @dataclass(frozen=True)
 class Mix:
-    """Entropy, as a share of that of equal weights, to reach; unless a source would be repeated more than max_repeats times as
-    often as the least repeated one. budget: tokens to deal out; None: the least budget at which every row is dealt out once."""
+    """Entropy, as a share of that of equal weights, to reach; None: that which closes the share `close` of the gap between the
+    sources' own entropy and that of equal weights. It isn't reached where a source would be repeated more than max_repeats times
+    as often as the least repeated one. budget: tokens to deal out; None: the least budget at which every row is dealt out once."""
 
-    entropy: float = 0.98
+    entropy: float | None = None
+    close: float = 0.5
     max_repeats: float = 2.0
     budget: float | None = None
 
@@ -64,12 +66,13 @@ def exponent(shares: DataFrame, mix: Mix) -> float:
         return low, high
 
     (_, _), (at_one, _) = _points(shares, [0.0, 1.0])
-    if at_one >= mix.entropy:
+    target = mix.entropy if mix.entropy is not None else 1 - (1 - at_one) * (1 - mix.close)
+    if at_one >= target:
         wanted = 1.0
-    elif mix.entropy >= 1:  # equal weights alone have it; near 0 entropy is too flat for doubles to tell
+    elif target >= 1:  # equal weights alone have it; near 0 entropy is too flat for doubles to tell
         wanted = 0.0
     else:
-        wanted = bisect(lambda p: p[0] < mix.entropy)[0]
+        wanted = bisect(lambda p: p[0] < target)[0]
     allowed = 0.0 if _points(shares, [0.0])[0][1] <= mix.max_repeats else bisect(lambda p: p[1] <= mix.max_repeats)[1]
     return max(wanted, allowed)
 

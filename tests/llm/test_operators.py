@@ -225,6 +225,47 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.plan(none).count() == 0 and mixing.mix_documents(none).count() == 0
 
 
+def test_mixing_by_brute_force(spark):
+    """The whole plan again: exponent by halving, quotas, passes ordered by the hash, positions by running sums."""
+    r = random.Random(8)
+    given = [(i, " ".join(["w"] * r.randint(0, 30)), source) for i, source in enumerate(["a"] * 200 + ["b"] * 70 + ["c"] * 25 + [None] * 5)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string")
+    for mix in (mixing.Mix(), mixing.Mix(entropy=0.9), mixing.Mix(close=1.0, max_repeats=1.5, budget=9000.0)):
+        tokens = {i: max(1, len(t.split())) for i, t, _ in given}
+        size = {s: sum(tokens[i] for i, _, x in given if x == s) for s in ("a", "b", "c", None)}
+        total = sum(size.values())
+        weights = lambda a: {s: (n / total) ** a / sum((m / total) ** a for m in size.values()) for s, n in size.items()}  # noqa: B023, E731
+        entropy = lambda a: -sum(w * np.log(w) for w in weights(a).values()) / np.log(4)
+        ratio = lambda a: max(weights(a)[s] / size[s] for s in size) / min(weights(a)[s] / size[s] for s in size)  # noqa: B023, E731
+        target = mix.entropy if mix.entropy is not None else 1 - (1 - entropy(1)) * (1 - mix.close)
+
+        def turn(holds):
+            low, high = 0.0, 1.0
+            for _ in range(50):
+                mid = (low + high) / 2
+                low, high = (mid, high) if holds(mid) else (low, mid)
+            return low
+
+        a = 1.0 if entropy(1) >= target else 0.0 if target >= 1 else turn(lambda x: entropy(x) >= target)  # noqa: B023
+        a = max(a, 0.0 if ratio(0) <= mix.max_repeats else turn(lambda x: ratio(x) > mix.max_repeats))  # noqa: B023
+        assert 0 < a < 1
+        w = weights(a)
+        budget = mix.budget or max(size[s] / w[s] for s in size)
+        got = mixing.plan(docs, mix).collect()
+        assert all(abs(x.weight - w[x.source]) < 1e-5 and abs(x.repeats - w[x.source] * budget / size[x.source]) < 1e-3 for x in got)
+        passes = spark.createDataFrame([(i, s, k) for i, _, s in given for k in range(1, 12)], "doc_id long, source string, pass int")
+        order = {(x["doc_id"], x["pass"]): x.h for x in passes.withColumn("h", F.xxhash64(F.lit("mix"), "pass", "doc_id", "source")).collect()}
+        quota, want = {s: round(got_weight * budget) for s, got_weight in {x.source: x.weight for x in got}.items()}, set()
+        for s in size:
+            begins = 0
+            for k in range(1, 12):
+                for i in sorted((i for i, _, x in given if x == s), key=lambda i: order[i, k]):  # noqa: B023
+                    if begins < quota[s]:
+                        want.add((i, s, k, begins))
+                    begins += tokens[i]
+        assert {(x.doc_id, x.source, x["pass"], round(x.position * x.weight)) for x in got} == want
+
+
 def test_sharding(docs, rows, none):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == len(rows) and all(r.grown_shard in (r.shard, 24) for r in got)
