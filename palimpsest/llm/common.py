@@ -39,7 +39,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it from there."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with cleaned_up(df.sparkSession):
+        return df.checkpoint()
 
 
 @contextlib.contextmanager
