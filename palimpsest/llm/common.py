@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,20 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The same batches; at their end the Python worker, which outlives the task, gives unused memory back to the system."""
+    yield from batches
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name like `name` that docs doesn't have, in any case."""
     taken = {c.lower() for c in docs.columns}

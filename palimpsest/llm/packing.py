@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 
 SEQUENCE, END_ID = 4096, 2
 GROUP_BYTES = 12_000_000
 #: Gaps shorter than this stay: a document isn't cut for less.
 LEAST_CUT = 16
 #: Bytes of text that are coded at once; letters of a run that a matrix takes.
-CODED_BYTES, MOST_LETTERS = 16_000_000, 32
+CODED_BYTES, MOST_LETTERS = 4_000_000, 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -382,7 +382,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, group_bytes:
     def run(batches):
         from pyspark import TaskContext
 
-        yield from _pack_group(batches, vocabulary or default_vocabulary(), TaskContext.get().partitionId())
+        yield from trimmed(_pack_group(batches, vocabulary or default_vocabulary(), TaskContext.get().partitionId()))
 
     return dealt.mapInArrow(run, PIECES)
 

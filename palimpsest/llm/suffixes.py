@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, stored, table
+from .common import discard, fresh, stored, table, trimmed
 
 LENGTH, GRAM = 100, 24
 #: Grams of a string, and bytes of text whose runs are found at once (places take 20 bits beside the hash).
@@ -191,7 +191,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """(uid, a, n): stretches of starts of LENGTH-byte strings that also start earlier. docs: d, uid, text."""
     spark = docs.sparkSession
-    found, found_at = stored(docs.select("d", "uid", "text").mapInArrow(_find_runs, RUNS), "runs")
+    found, found_at = stored(docs.select("d", "uid", "text").mapInArrow(lambda b: trimmed(_find_runs(b)), RUNS), "runs")
     keys = found.groupBy("anchor").agg(F.count("*").alias("_c"), F.min("bytes_hash").alias("_lo"), F.max("bytes_hash").alias("_hi")).where("_c > 1")
     again, again_at = stored(found.join(keys.select("anchor", (F.col("_lo") != F.col("_hi")).alias("varied")), "anchor"), "again")
     discard(spark, found_at)
@@ -202,9 +202,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     sizes = varied.groupBy("anchor").agg(F.count("*").alias("_runs"), F.sum("n").alias("_starts"))
     starts = sizes.agg(F.sum("_starts")).first()[0] or 0
     by_doc = varied.join(sizes, "anchor").groupBy("uid").agg(F.collect_list(F.struct("d", "a", "n", "anchor", (F.col("_runs") > HOT_RUNS).alias("hot"))).alias("runs"))
-    dealt = docs.select("uid", "text").join(by_doc, "uid").select("uid", "text", "runs").mapInArrow(_pieces, "deal long, d long, uid long, a long, n int, bytes binary")
+    dealt = docs.select("uid", "text").join(by_doc, "uid").select("uid", "text", "runs").mapInArrow(lambda b: trimmed(_pieces(b)), "deal long, d long, uid long, a long, n int, bytes binary")
     dealt = dealt.repartition(max(1, -(-starts // TASK_STARTS)), "deal").sortWithinPartitions("d", "uid", "a").select("uid", "a", "n", "bytes")
-    out, _ = stored(copies.union(dealt.mapInArrow(_scan, "uid long, a long, n int")), "repeats")
+    out, _ = stored(copies.union(dealt.mapInArrow(lambda b: trimmed(_scan(b)), "uid long, a long, n int")), "repeats")
     discard(spark, again_at, first_at)
     return out
 
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     t = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "uid", F.coalesce("text", F.lit("")).alias("text"))
     by_row = repeats(t).groupBy("uid").agg(F.collect_list(F.struct("a", "n")).alias("found"))
-    return t.join(by_row, "uid", "left").select("doc_id", "uid", "text", "found").mapInArrow(_apply, "doc_id long, uid long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return t.join(by_row, "uid", "left").select("doc_id", "uid", "text", "found").mapInArrow(lambda b: trimmed(_apply(b)), "doc_id long, uid long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import fingerprints, lm, mil, mixing, packing, quality_rules, sharding, simhash, suffixes
+from palimpsest.llm import fingerprints, lm, mil, mixing, packing, quality_rules, sharding, simhash, suffixes, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, uid string, _w string, n int, _id string, _u int, _text string, _d int, _s string, _times int, doc int, of int, rest string, times int, held string"
 
@@ -211,6 +211,40 @@ def test_a_single_odd_measure_is_overruled(spark):
     assert all(got[i].n_words < quality_rules.RULES[0].bad_low for i, _ in short)
 
 
+PAGES = "page_id long, url string, html string, lang string, digest string, first long, shard int"
+
+
+def test_archive(spark, monkeypatch):
+    """Records and look-ups against the table itself: nulls, short and equal payloads, equal URLs over several blocks, repeated rows."""
+    monkeypatch.setattr(warc, "LINES_PER_BLOCK", 3)
+    html = ["", None, "x" * 99, "x" * 99, "y" * 100, "y" * 100, "y" * 100, "é" * 60, "é" * 60, "<p>" + sentences(1, 40)]
+    given = [(i, f"http://{'abc'[i % 3]}.org/{i % 4 // 3}", h, "en", "x", i, i) for i, h in enumerate(html * 3)]
+    given += [given[4], (None, "https://User@A.org:443/1#x", "y" * 100, None, None, None, None), (77, None, "z", None, None, None, None)]
+    pages = spark.createDataFrame(given, PAGES).repartition(3)
+    archive = warc.write_archive(pages)
+    data = lambda h: (h or "").encode()
+    low = lambda p: (p is not None, p or 0)
+    first = {}
+    for p, _, h, *_ in given:
+        if len(data(h)) >= 100:
+            first[data(h)] = min(first.get(data(h), low(p)), low(p))
+    want = []
+    for p, u, h, *_ in given:
+        revisit = len(data(h)) >= 100 and low(p) != first[data(h)]
+        refers = (first[data(h)][1] if first[data(h)][0] else None) if revisit else None
+        want.append((str(p), u or "", len(data(h)), hashlib.sha256(data(h)).hexdigest(), "revisit" if revisit else "response", str(refers)))
+    row = lambda r: (str(r.page_id), r.url, r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to))
+    assert sorted(map(row, archive.read().collect())) == sorted(want)
+    found = archive.find(pages.select(F.coalesce("url", F.lit("")).alias("url"))).collect()
+    assert sorted(map(row, found)) == sorted(want)
+    assert all(r.payload is None or hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in found)
+    for url in ("http://b.org/0", "http://a.org/1", "http://nowhere.org/", "zzz", ""):
+        some = archive.find(spark.createDataFrame([(url,), (None,), (url,)], "url string")).collect()
+        assert sorted(map(row, some)) == sorted(w for w in want if warc.url_key(w[1]) == warc.url_key(url)), url
+    empty = warc.write_archive(spark.createDataFrame([], PAGES))
+    assert empty.read().count() == 0 and empty.find(pages.select("url")).count() == 0
+
+
 def test_mixing(spark, docs, rows, none):
     big = spark.createDataFrame([(i, "a b c d", "big") for i in range(300)] + [(1000 + i, "a b c d", "small") for i in range(20)], "doc_id long, text string, source string")
     got = mixing.plan(big, mixing.Mix(entropy=1.0, max_repeats=3.0)).toPandas()
