@@ -1 +1 @@
-"""Column functions."""
+"""Scalar functions of the log: key codec, sizes, checksums, hashes, names."""

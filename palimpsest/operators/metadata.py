@@ -11,6 +11,17 @@ def live_files(changes: DataFrame) -> DataFrame:
     return changes.groupBy("fid").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq")).where("op = 'CREATE'").select("fid", "seq")
 
 
+def compacted(changes: DataFrame) -> DataFrame:
+    """The shortest manifest with the same files: their creations."""
+    return live_files(changes).select("fid", F.lit("CREATE").alias("op"), "seq")
+
+
+def rewrite_due(changes: DataFrame, least: int, ratio: int) -> DataFrame:
+    """created, deleted, due: whether deletions are many, and many times the files that are left."""
+    n = changes.agg(F.count(F.when(F.col("op") == "CREATE", 1)).alias("created"), F.count(F.when(F.col("op") == "DELETE", 1)).alias("deleted"))
+    return n.withColumn("due", (F.col("deleted") > least) & (F.col("deleted") > ratio * (F.col("created") - F.col("deleted"))))
+
+
 def violations(changes: DataFrame) -> DataFrame:
     """Creations of a file that exists and deletions of one that doesn't."""
     before = F.lag("op").over(Window.partitionBy("fid").orderBy("seq"))

@@ -54,6 +54,15 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
     return ranked.groupBy("key", "version").agg(F.min_by(F.struct(*rest), "_rank").alias("r")).select("key", "version", "r.*")
 
 
+def merge_ordered(*runs: DataFrame) -> DataFrame:
+    """All rows of all runs, equal ones too, with their run: by key, newest version first, the first run's rows first."""
+    marked = [r.withColumn("run", F.lit(i)) for i, r in enumerate(runs)]
+    merged = marked[0]
+    for r in marked[1:]:
+        merged = merged.unionByName(r)
+    return merged.orderBy("key", F.desc("version"), "run")
+
+
 def overlay(snap: DataFrame, pending: DataFrame) -> DataFrame:
     """A transaction's own view: its pending rows (key, version, value, meta) hide the snapshot's."""
     own = newest(pending).select("key", "value", "meta", F.lit(True).alias("own"))

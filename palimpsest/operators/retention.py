@@ -26,11 +26,24 @@ def run_stats(log: DataFrame, per_run: int = 500) -> DataFrame:
     return log.groupBy(F.expr(f"version div {per_run}").alias("fid")).agg(F.count("*").alias("key_count"), F.max("version").alias("max_version"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum(F.length("key") + F.length("value") + 8).cast("long").alias("size"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """Pairs of files with overlapping key ranges. Each file is sent to the cells of `width` keys that it touches, so files meet by equality; a pair is taken in the first cell it shares."""
-    cells = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in ("fid", "min_key", "max_key")]).withColumn("_cell", F.explode(F.sequence(F.expr(f"{p}min_key div {width}"), F.expr(f"{p}max_key div {width}"))))
-    pairs = cells(a, "a_").join(cells(b, "b_"), "_cell").where("a_min_key <= b_max_key and a_max_key >= b_min_key")
-    return pairs.where(f"_cell = greatest(a_min_key, b_min_key) div {width}").select("a_fid", "b_fid")
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of files with overlapping key ranges. Each file is sent to the cells of keys that it touches, so files meet by equality; a
+    pair is taken in the first cell it shares. A file takes cells of its own size: the power of two at or above its width, two cells at
+    most, and is looked for by the other side at all the sizes that occur there, of which there are 64 at most."""
+    wide = lambda low, high: F.ceil(F.log2(F.greatest(high - low + 1, F.lit(1)).cast("double"))).cast("int")
+    named = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in ("fid", "min_key", "max_key")], wide(F.col("min_key"), F.col("max_key")).alias(p + "w"))
+    left, right = named(a, "a_"), named(b, "b_")
+    found = None
+    for p, one, q, other, strict in (("a_", left, "b_", right, False), ("b_", right, "a_", left, True)):
+        # the wider file of a pair (of equal ones the left) sets the size of the cells, so the narrower one touches two at most
+        sizes = [r[0] for r in one.select(p + "w").distinct().collect()]
+        own = one.withColumn("_w", F.col(p + "w")).withColumn("_cell", F.explode(F.expr(f"sequence(shiftright({p}min_key, _w), shiftright({p}max_key, _w))")))
+        sought = other.withColumn("_w", F.explode(F.array(*[F.lit(w) for w in sizes] or [F.lit(0)]))).where(F.col("_w") > F.col(q + "w") if strict else F.col("_w") >= F.col(q + "w"))
+        sought = sought.withColumn("_cell", F.explode(F.expr(f"sequence(shiftright({q}min_key, _w), shiftright({q}max_key, _w))")))
+        pairs = own.join(sought, ["_w", "_cell"]).where("a_min_key <= b_max_key and a_max_key >= b_min_key")
+        pairs = pairs.where(F.expr("_cell = shiftright(greatest(a_min_key, b_min_key), _w)")).select("a_fid", "b_fid")
+        found = pairs if found is None else found.union(pairs)
+    return found
 
 
 def split_ranges(files: DataFrame, least: int = 3, parts: int = 5) -> DataFrame:
@@ -39,3 +52,9 @@ def split_ranges(files: DataFrame, least: int = 3, parts: int = 5) -> DataFrame:
     width = max(least, -(-n // parts))
     numbered = files.withColumn("_i", F.row_number().over(Window.orderBy("min_key")) - 1)
     return numbered.where((F.col("_i") % width == width - 1) | (F.col("_i") == n - 1)).select("fid", F.col("max_key").alias("boundary"))
+
+
+def stale_by_level(log: DataFrame, files: DataFrame, per_run: int = 100) -> DataFrame:
+    """level, size, stale: bytes of a level's files, and those of tombstones in them (key, value and version)."""
+    stale = log.where("meta & 1 = 1").groupBy(F.expr(f"version div {per_run}").alias("fid")).agg(F.sum(F.length("key") + F.length("value") + 8).cast("long").alias("stale"))
+    return files.join(stale, "fid", "left").groupBy("level").agg(F.sum("size").cast("long").alias("size"), F.sum(F.coalesce("stale", F.lit(0))).cast("long").alias("stale"))

@@ -170,7 +170,7 @@ def _files_sql(name: str, width: int) -> str:
 
 @query(f"WITH {_files_sql('a', 1000)}, {_files_sql('b', 1700)} SELECT a.fid AS a_fid, b.fid AS b_fid FROM a JOIN b ON a.min_key <= b.max_key AND a.max_key >= b.min_key")
 def file_overlap(spark, sf_dir):
-    return retention.overlaps(order_files(spark, sf_dir, 1000), order_files(spark, sf_dir, 1700), 1000)
+    return retention.overlaps(order_files(spark, sf_dir, 1000), order_files(spark, sf_dir, 1700))
 
 
 @query(f"WITH {_files_sql('a', 1000)}, i AS (SELECT *, row_number() OVER (ORDER BY min_key) - 1 AS i, count(*) OVER () AS n FROM a), w AS (SELECT *, greatest(3, (n + 4) // 5) AS width FROM i) SELECT fid, max_key AS boundary FROM w WHERE i % width = width - 1 OR i = n - 1")
@@ -194,13 +194,13 @@ def _live(spark, sf_dir):
 
 @query(f'WITH {VLOG} SELECT key, fid, off AS "offset", len FROM vlog')
 def vlog_layout(spark, sf_dir):
-    return values.layout(_docs(spark, sf_dir)).select("key", "fid", "offset", "len")
+    return values.placed(_docs(spark, sf_dir))
 
 
 @query("SELECT doc_id AS key, md5(text) AS value_md5 FROM documents")
 def vlog_deref(spark, sf_dir):
-    log = values.layout(_docs(spark, sf_dir))
-    return values.deref(values.index(_docs(spark, sf_dir), log), log).select("key", F.md5("value").alias("value_md5"))
+    docs = _docs(spark, sf_dir)
+    return values.deref(values.index(docs, values.placed(docs)), values.layout(docs)).select("key", F.md5("value").alias("value_md5"))
 
 
 @query(f'WITH {VLOG} SELECT key, fid, off AS "offset", len FROM vlog WHERE key IN (SELECT key FROM live)')
@@ -277,14 +277,6 @@ def txn_last_write(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txn"), (F.col("l_partkey") % 10).alias("key")).agg(F.max("l_linenumber").cast("long").alias("seq"), F.max_by("l_quantity", F.struct("l_linenumber", "l_quantity")).alias("value"))
 
 
-VALID = "CASE WHEN o_orderstatus = 'F' THEN 'read_only' WHEN o_custkey % 7 = 0 THEN 'discarded' WHEN o_custkey % 11 = 0 THEN 'empty_key' WHEN o_totalprice > 400000 THEN 'too_big' ELSE 'ok' END AS outcome"
-
-
-@query(f"SELECT o_orderkey AS txn, {VALID} FROM orders")
-def txn_validate(spark, sf_dir):
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as txn", VALID)
-
-
 TXN = """o AS (SELECT o_orderkey AS txn, o_custkey % 16 AS shard, row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderdate, o_orderkey) AS rn FROM orders), t AS (SELECT txn, shard, 2 * rn AS b, 2 * rn + 17 AS c FROM o),
 rd AS (SELECT t.*, l_partkey AS key FROM lineitem JOIN t ON txn = l_orderkey WHERE l_linenumber % 2 = 1), wr AS (SELECT t.*, l_partkey AS key FROM lineitem JOIN t ON txn = l_orderkey WHERE l_linenumber % 2 = 0)"""
 
@@ -309,13 +301,10 @@ def txn_conflict_edges(spark, sf_dir):
     return _edges(spark, sf_dir)[1]
 
 
-@query()
-def txn_commit_outcome(spark, sf_dir):
-    """Decided in commit order, which SQL has no plain form for: tested against a fold."""
+def checkpoints(spark):
+    """The shared folder that the cluster names; only where it is unset one under the warehouse."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    txns, edges = _edges(spark, sf_dir)
-    return transactions.outcomes(txns, edges, lambda d: d.checkpoint())
 
 
 BITS_SQL = "pos AS (SELECT k, ((k * 40503) % 1000003 + i * ((k * 30011) % 65521 + 1)) % 16384 AS bit FROM {0}, (SELECT unnest(range(7)) AS i))"

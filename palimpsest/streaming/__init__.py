@@ -1 +1 @@
-"""Structured Streaming ingestion and operators."""
+"""A store that batches and streams append to."""
