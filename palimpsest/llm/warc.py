@@ -256,110 +256,6 @@ class Archive:
 
         return self.read(both.mapInArrow(pick, ENTRIES), payloads=True)
 
-    def read(self, name: str, offset: int, length: int) -> bytes:
-        if name != self.name:
-            self.close()
-            self.name, self.file = name, self.fs.open_input_file(f"{self.base}/{name}")
-        self.file.seek(offset)
-        return zlib.decompress(self.file.read(length), wbits=31)
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-
-
-def _entries(block: bytes) -> Iterator[dict]:
-    for line in block.decode().splitlines():
-        k, p, f, o, n = json.loads(line)
-        yield {"url_key": k, "page_id": p, "file": f, "offset": o, "length": n}
-
-
-ENTRY_COLUMNS = (["url_key", "page_id", "file", "offset", "length"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()])
-RECORD_COLUMNS = (["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"], [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()])
-
-
-class _Merge:
-    """Keys and directory entries of shards in order: a key can lie in the last block that begins before it and in those that begin
-    with it. The entries of the block at hand are bisected; of earlier blocks only entries of the last key are remembered."""
-
-    def __init__(self):
-        self.shard, self.block, self.entries, self.key, self.found = None, None, None, None, []
-
-    def take(self, r: dict, files: _Ranges) -> list[dict]:
-        """Captures that a row of the order gives. Blocks that begin with a key come before it, after the block that ends before."""
-        if r["shard"] != self.shard:
-            self.shard, self.block, self.entries, self.key, self.found = r["shard"], None, None, None, []
-        if not r["kind"]:
-            if r["url_key"] != self.key:
-                self.key, self.found = r["url_key"], self._in_block(r["url_key"], files)
-            elif self.block is not None:
-                self.found += self._in_block(r["url_key"], files)
-            self.block, self.entries = r, None
-            return []
-        before = self.found if r["url_key"] == self.key else []
-        return before + self._in_block(r["url_key"], files)
-
-    def _in_block(self, key: str, files: _Ranges) -> list[dict]:
-        if self.block is None:
-            return []
-        if self.entries is None:
-            self.entries = list(_entries(files.read(self.block["file"], self.block["offset"], self.block["length"])))
-        of = lambda e: e["url_key"]
-        return self.entries[bisect.bisect_left(self.entries, key, key=of) : bisect.bisect_right(self.entries, key, key=of)]
-
-
-@dataclass
-class Archive:
-    """A folder of WARC files and index blocks, and the directory of the blocks."""
-
-    folder: str
-    directory: DataFrame
-
-    def entries(self) -> DataFrame:
-        """All captures, from the index blocks."""
-        folder = self.folder
-
-        def run(batches):
-            files = _Ranges(folder)
-            for batch in batches:
-                for r in batch.to_pylist():
-                    yield _rows(list(_entries(files.read(r["file"], r["offset"], r["length"]))), *ENTRY_COLUMNS)
-            files.close()
-
-        blocks = self.directory.select("file", "offset", "length")
-        return blocks.repartition(partitions(blocks.sparkSession), "file", "offset").mapInArrow(run, ENTRIES)
-
-    def find(self, urls: DataFrame) -> DataFrame:
-        """Captures of the distinct URLs of column `url`, with payloads (null for a revisit). Null URLs find nothing."""
-        folder = self.folder
-        firsts = [(r["shard"], r["k"]) for r in self.directory.groupBy("shard").agg(F.min("first_key").alias("k")).orderBy("shard").collect()]  # as many as index files
-
-        def shards(batches):
-            keys = [k for _, k in firsts]
-            for batch in batches:
-                rows = []
-                for r in batch.to_pylist():
-                    k = url_key(r["url"])
-                    low, high = max(0, bisect.bisect_left(keys, k) - 1), bisect.bisect_right(keys, k)
-                    rows += [{"shard": s, "url_key": k} for s, _ in firsts[low:high]]
-                yield _rows(rows, ["shard", "url_key"], [pa.int32(), pa.string()])
-
-        wanted = urls.select("url").where("url is not null").distinct().mapInArrow(shards, "shard int, url_key string").distinct()
-        blocks = self.directory.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("first_key", "file", "offset", "length"))).alias("blocks"))
-
-        def pick(batches):
-            files = _Ranges(folder)
-            for batch in batches:
-                rows = []
-                for r in batch.to_pylist():
-                    keys, k = [b["first_key"] for b in r["blocks"]], r["url_key"]
-                    for b in r["blocks"][max(0, bisect.bisect_left(keys, k) - 1) : bisect.bisect_right(keys, k)]:
-                        rows += [e for e in _entries(files.read(b["file"], b["offset"], b["length"])) if e["url_key"] == k]
-                yield _rows(rows, *ENTRY_COLUMNS)
-            files.close()
-
-        return self.read(wanted.join(blocks, "shard").mapInArrow(pick, ENTRIES), payloads=True)
-
     def read(self, entries: DataFrame | None = None, payloads: bool = False) -> DataFrame:
         """The records of entries (by default of all captures), each by its byte range."""
         folder = self.folder
