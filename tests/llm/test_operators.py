@@ -70,6 +70,16 @@ def test_hot_anchors_are_dealt_in_blocks(spark, docs, monkeypatch):
     assert {(r.uid, r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(found).collect()} == plain
 
 
+@pytest.mark.parametrize("heavy", [1, 3, suffixes.HEAVY])
+def test_counted_join_is_a_join(spark, heavy, monkeypatch):
+    monkeypatch.setattr(suffixes, "HEAVY", heavy)  # of 3: the key of half of the rows is broadcast, the others are not
+    key = [0] * 50 + [1] * 10 + [2] * 10 + list(range(3, 33))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(key)], "k long, i long")
+    keys = rows.groupBy("k").agg(F.count("*").alias("c"), F.min("i").alias("low")).where("c > 1")
+    got = suffixes.join_counted(rows, keys, ["k"], "c", len(key)).select("k", "i", "c", "low")
+    assert sorted(map(tuple, got.collect())) == [(k, i, key.count(k), key.index(k)) for i, k in enumerate(key) if k < 3]
+
+
 def test_levels_are_geometric():
     index, seen = suffixes.LevelIndex(), set()
     r = random.Random(3)
