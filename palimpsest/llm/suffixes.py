@@ -191,7 +191,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
-    """rows.join(keys, on) for keys that are distinct on `on`, where `times` counts the rows of rows (`total` in all) with each key.
+    """rows.join(keys, on) for stored keys that are distinct on `on`, where `times` counts the rows of rows (`total` in all) with each key.
 
     Keys that more than total / HEAVY rows have are fewer than HEAVY, whatever the data: these are broadcast and their rows stay
     where they are. Every other key has at most that many rows, so no task of the shuffle that is left gets a large group.
@@ -206,20 +206,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found, found_at = stored(docs.select("d", "uid", "text").mapInArrow(lambda b: trimmed(_find_runs(b)), RUNS), "runs")
     total = found.count()
-    keys = found.groupBy("anchor").agg(F.count("*").alias("_c"), F.min("bytes_hash").alias("_lo"), F.max("bytes_hash").alias("_hi")).where("_c > 1")
-    again, again_at = stored(join_counted(found, keys, ["anchor"], "_c", total).select(*found.columns, (F.col("_lo") != F.col("_hi")).alias("varied")), "again")
-    discard(spark, found_at)
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("_c"), F.min("bytes_hash").alias("_lo"), F.max("bytes_hash").alias("_hi")).where("_c > 1")
+    keys, keys_at = stored(anchors.select("anchor", "_c", (F.col("_lo") != F.col("_hi")).alias("varied")), "anchors")
+    again, again_at = stored(join_counted(found, keys, ["anchor"], "_c", total).select(*found.columns, "varied"), "again")
+    discard(spark, found_at, keys_at)
     first, first_at = stored(again.groupBy("anchor", "bytes_hash").agg(F.min(F.struct("d", "uid", "a", "n")).alias("f"), F.max("varied").alias("varied"), F.count("*").alias("_c")), "first")
     copied = first.where("_c > 1").select("anchor", "bytes_hash", "f", "_c")
     copies = join_counted(again, copied, ["anchor", "bytes_hash"], "_c", total).where((F.col("uid") != F.col("f.uid")) | (F.col("a") != F.col("f.a"))).select("uid", "a", "n")
     varied = first.where("varied").select("anchor", "f.*")
-    sizes = varied.groupBy("anchor").agg(F.count("*").alias("_runs"), F.sum("n").alias("_starts"))
+    sizes, sizes_at = stored(varied.groupBy("anchor").agg(F.count("*").alias("_runs"), F.sum("n").alias("_starts")), "sizes")
     starts, different = (x or 0 for x in sizes.agg(F.sum("_starts"), F.sum("_runs")).first())
     by_doc = join_counted(varied, sizes, ["anchor"], "_runs", different).groupBy("uid").agg(F.collect_list(F.struct("d", "a", "n", "anchor", (F.col("_runs") > HOT_RUNS).alias("hot"))).alias("runs"))
     dealt = docs.select("uid", "text").join(by_doc, "uid").select("uid", "text", "runs").mapInArrow(lambda b: trimmed(_pieces(b)), "deal long, d long, uid long, a long, n int, bytes binary")
     dealt = dealt.repartition(max(1, -(-starts // TASK_STARTS)), "deal").sortWithinPartitions("d", "uid", "a").select("uid", "a", "n", "bytes")
     out, _ = stored(copies.union(dealt.mapInArrow(lambda b: trimmed(_scan(b)), "uid long, a long, n int")), "repeats")
-    discard(spark, again_at, first_at)
+    discard(spark, again_at, first_at, sizes_at)
     return out
 
 
